@@ -138,3 +138,9 @@ def grams(word_hash: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out += word_hash[k : k + len(out)] * powers[k]
     return mix(out)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python hold so many rows and bytes at most, so long texts don't pile up."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
