@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import bpe, exact_dedup, packing, url_filter
+from topicloom.llm import bpe, exact_dedup, packing, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op5_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op5_url_filter, op9_substring_dedup, op10_packing)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -41,4 +45,12 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) keep_id, count(*) OVER (PARTITION BY norm) group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) kept, sha256(norm) text_sha256 FROM n""",
     "op5_url_filter": url_filter.oracle_sql(),
+    "op9_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) p FROM dup),
+word AS (SELECT doc_id, p, ws[p] x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) p FROM w)),
+kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY p) t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT n_words, (len(ws) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
 }

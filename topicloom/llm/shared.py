@@ -144,3 +144,40 @@ def bounded_batches(spark: SparkSession) -> None:
     """Batches between the JVM and Python hold so many rows and bytes at most, so long texts don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+class Windows:
+    """Hashes of all windows of ``size`` words of a batch of texts; windows never cross texts.
+
+    ``at`` are the windows' first words (indices into the batch's words), ``of``
+    the text of each, ``hash`` and ``check`` two independent hashes.
+    """
+
+    def __init__(self, words: Words, size: int):
+        n = len(words.hash)
+        counts = np.diff(words.first)
+        self.text_of = np.repeat(np.arange(len(counts)), counts)
+        ends = np.repeat(words.first[1:], counts)
+        self.all = grams(words.hash, size)
+        fits = np.arange(len(self.all)) + size <= ends[: len(self.all)] if n else np.zeros(0, bool)
+        self.at = np.flatnonzero(fits)
+        self.of = self.text_of[self.at]
+        self.hash = self.all[self.at]
+        self.bounds = np.searchsorted(self.of, np.arange(len(counts) + 1))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of ``width`` values, by doubling."""
+    if len(x) < width:
+        return x[:0]
+    out, have = x, 1
+    while have * 2 <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes as Spark's long."""
+    return x.view(np.int64)
