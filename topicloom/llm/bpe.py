@@ -29,6 +29,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -42,7 +43,7 @@ from topicloom.llm.shared import bounded_batches
 
 BLOCK = 256
 CACHED_CHARS = 64
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 150_000
 
 
 @lru_cache(1)
@@ -67,6 +68,8 @@ class MergeTable:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         for r, (a, b) in enumerate(pairs):
             self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
+        self.order = {p: r for p, (r, _) in self.rank.items()}
+        self.product = [vocab[a + b] for a, b in pairs]
         size = lambda i: len(self.token[i].removesuffix(suffix) if suffix else self.token[i])
         self.longest = max((size(p) for _, p in self.rank.values()), default=1)
         self.lookahead = self._lookahead(size)
@@ -94,17 +97,17 @@ class MergeTable:
     def merge(self, symbols: list[int]) -> list[int]:
         """The tokens of one block: always the pair of best priority, the leftmost first."""
         rank = self.rank
-        if len(symbols) < 40:
-            ids = list(symbols)
-            while True:
-                found, at = None, 0
-                for k in range(len(ids) - 1):
-                    r = rank.get((ids[k], ids[k + 1]))
-                    if r is not None and (found is None or r < found):
-                        found, at = r, k
-                if found is None:
-                    break
-                ids[at : at + 2] = [found[1]]
+        if len(symbols) < 64:
+            ids, get, none = list(symbols), self.order.get, len(rank)
+            pairs = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+            while pairs and (best := min(pairs)) < none:
+                k = pairs.index(best)
+                ids[k : k + 2] = (self.product[best],)
+                del pairs[k]
+                if k:
+                    pairs[k - 1] = get((ids[k - 1], ids[k]), none)
+                if k < len(pairs):
+                    pairs[k] = get((ids[k], ids[k + 1]), none)
             return ids
         ids: list[int | None] = list(symbols)
         n = len(ids)
@@ -141,6 +144,9 @@ class Transducer:
         return t.merge(symbols)
 
     def feed(self, data: bytes) -> Iterator[int]:
+        if len(data) <= BLOCK and not self.held:
+            self.held += data
+            return
         for at in range(0, len(data), BLOCK):
             self.held += data[at : at + BLOCK]
             while self.room is not None and len(self.held) > self.room:
@@ -202,22 +208,29 @@ class WordBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytelevel = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        bytelevel = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        self.bytes = {i: bytes(byte_of[c] for c in t) if bytelevel and t not in self.special else t.encode() for i, t in self.token.items()}
+        self.gap = b"" if bytelevel else b" "
+        self.parts = Cache(self._part, CACHE_PARTS)
         self.cache = Cache(self._packed, CACHE_WORDS)
 
-    def _word(self, word: str) -> Iterator[int]:
-        """Ids of a run without white space."""
-        word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        for m in self.pattern.finditer(word):
-            t = Transducer(self.table)
-            yield from t.feed(m[0].encode())
-            yield from t.finish()
+    def _word(self, word: str) -> list[tuple[bytes, bytes]]:
+        """The pre-tokens of a run without white space."""
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
+        return list(map(self.parts.__getitem__, self.pattern.findall(word.lower())))
+
+    def _part(self, part: str) -> tuple[bytes, bytes]:
+        """Ids of one pre-token from the transducer, as little-endian unsigned 32-bit integers, and what they decode to."""
+        t, data = Transducer(self.table), part.encode()
+        ids = [*t.feed(data), *t.finish()]
+        return struct.pack(f"<{len(ids)}I", *ids), "".join(self.decode_stream(ids)).encode()
 
     def _packed(self, word: str) -> tuple[bytes, bytes]:
-        """A word's ids as little-endian unsigned 32-bit integers, and what they decode to."""
-        ids = list(self._word(word))
-        return np.asarray(ids, "<u4").tobytes(), "".join(self.decode_stream(ids)).encode()
+        """Ids of a word, and what they decode to."""
+        found = self._word(word)
+        return found[0] if len(found) == 1 else (b"".join([p[0] for p in found]), self.gap.join([p[1] for p in found]))
 
     def pieces(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded) of the words and special tokens of a text, in order."""
@@ -237,13 +250,8 @@ class WordBPE:
         """Text as it becomes certain. A file without a decoder means the tokens' own strings with a space between them."""
         machine, first = ByteToText(), True
         for i in ids:
-            token = self.token[i]
-            if self.bytelevel:
-                data = bytes(self.byte_of[c] for c in token) if token not in self.special else token.encode()
-            else:
-                data = token.encode() if first else b" " + token.encode()
+            yield machine.feed(self.bytes[i] if first else self.gap + self.bytes[i])
             first = False
-            yield machine.feed(data)
         yield machine.finish()
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -263,7 +271,7 @@ def _encoded(path: str, with_ids: bool):
             counts, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = list(t.pieces(text)) if text else []
-                packed, decoded = b"".join([p[0] for p in found]), b" ".join([p[1] for p in found])
+                packed, decoded = b"".join([p[0] for p in found]), t.gap.join([p[1] for p in found])
                 counts.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(hashlib.sha256(decoded).hexdigest())

@@ -19,6 +19,8 @@ and offset only; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from functools import lru_cache
 
@@ -27,17 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.bpe import Cache
 from topicloom.llm.shared import bounded_batches, row_parts
 
 CAPACITY = 1024
 GROUP_DOCS = 256
 END_ID = 0
-CACHE_WORDS = 150_000
-
-
-class Irregular(Exception):
-    """A word whose ids depend on its neighbours."""
+CACHE_WORDS, CACHED_CHARS = 250_000, 64
 
 
 class SpacedBPE:
@@ -45,39 +42,74 @@ class SpacedBPE:
 
     The pre-tokens of the byte-level pattern never reach from a character that
     isn't white space over a following space, so words between single spaces are
-    encoded alone and cached. Texts in which white space meets white space, and
-    those that hold a special token, go to the library whole.
+    encoded alone, the unseen ones of a group together, and kept in two
+    generations of at most ``limit`` words. Texts in which white space meets white
+    space, and those that hold a special token, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.head = Cache(self._word, CACHE_WORDS)
-        self.tail = Cache(lambda w: self._word(w, " "), CACHE_WORDS)
+        (self.tab,) = self.library.encode("\t", add_special_tokens=False).ids
+        self.limit = limit
+        self.known: dict[str, bytes | None] = {}  # of words after a space; None: it depends on its neighbours
+        self.old: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str, before: str = "") -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Irregular
-        return self.whole(before + word)
-
-    def packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        words = text.split(" ")
-        try:
-            return self.head[words[0]] + b"".join(map(self.tail.__getitem__, words[1:]))
-        except Irregular:
-            return self.whole(text)
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Have the ids of these words at hand; gives the long ones, which aren't to be kept."""
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        words = words - self.known.keys()
+        for w in words & self.old.keys():
+            self.known[w] = self.old[w]
+        words -= self.known.keys()
+        plain = []
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                self.known[w] = None
+            elif "\t" in w:
+                self.known[w] = self.whole(" " + w)
+            else:
+                plain.append(w)
+        # a tab between two words is a pre-token of its own
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            (found,) = self.library.encode_batch_fast(["".join([f" {w}\t" for w in part]) + " a"], add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            ends, raw, start = np.flatnonzero(ids == self.tab).tolist(), ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = raw[4 * start : 4 * end]
+                start = end + 1
+        return [w for w in words if len(w) > CACHED_CHARS]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [[] if not t or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        words: set[str] = set()
+        for own in split:
+            words.update(own)
+        long = self._learn(words)
+        get, out = self.known.__getitem__, []
+        for text, own in zip(texts, split, strict=True):
+            if own and own[0] and not own[0][0].isspace() and not own[0][-1].isspace():
+                try:
+                    out.append(self.whole(own[0]) + b"".join(map(get, own[1:])))
+                    continue
+                except TypeError:
+                    pass
+            out.append(self.whole(text or ""))
+        for w in long:
+            self.known.pop(w, None)
+        return out
 
 
 @lru_cache(2)
@@ -191,7 +223,7 @@ def _packer(path: str, capacity: int, with_ids: bool):
     def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = tokenizer(path)
         keys = table.column("id").to_pylist()
-        ids = [t.packed(text.as_py()) + np.asarray([END_ID], "<u4").tobytes() for text in table.column("text")]
+        ids = [x + struct.pack("<I", END_ID) for x in t.packed(table.column("text").to_pylist())]
         order = sorted(range(len(keys)), key=lambda k: (keys[k] is None, keys[k] or 0, ids[k]))
         keys, ids = [keys[k] for k in order], [ids[k] for k in order]
         base = key[0].as_py() << 32
