@@ -1,4 +1,157 @@
 """Every query of the engine's own operators, and its DuckDB equivalent."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from topicloom.functions import text as T
+from topicloom.functions import vectors as V
+from topicloom.operators import topics, words
+from topicloom.sources.tables import assigned, corpus, read_table
+
+DIMS = 64
+
+
+def keyword_vector(seed: int):
+    """A fixed unit-free query vector for the search and editing queries."""
+    return F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.cos(i * (seed + 1)))
+
+
+def _sql_keyword(seed: int) -> str:
+    return f"list_transform(range({DIMS}), lambda i: cos(i * {seed + 1}))"
+
+
+def corpus_vocab(spark, d):
+    return words.corpus_vocab(corpus(read_table(spark, d, "documents"))).withColumn("freq", F.round("freq", 9))
+
+
+def _counts(spark, d):
+    docs = assigned(spark, d)
+    return words.word_topic_counts(docs, words.corpus_vocab(docs))
+
+
+def word_topic_counts(spark, d):
+    return _counts(spark, d)
+
+
+def tfidf_topwords(spark, d):
+    return words.topwords_tfidf(_counts(spark, d), 10)
+
+
+def topic_centroids(spark, d):
+    return topics.centroids(assigned(spark, d)).select("topic_idx", F.posexplode("centroid_hd").alias("pos", "x")).withColumn("x", F.round("x", 7))
+
+
+def ranked_documents(spark, d):
+    return topics.ranked_documents(assigned(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+def knn_search(spark, d):
+    return topics.knn_search(assigned(spark, d), keyword_vector(0), 0, budget=4000).withColumn("similarity", F.round("similarity", 6))
+
+
+def combine_topics(spark, d):
+    return topics.combine_topics(assigned(spark, d), [0, 2]).select("doc_id", "topic_idx")
+
+
+def delete_topic(spark, d):
+    return topics.delete_topics(assigned(spark, d), [1]).select("doc_id", "topic_idx")
+
+
+def split_topic_keywords(spark, d):
+    points = spark.range(3).select(F.col("id").cast("int").alias("keyword_idx"))
+    points = points.withColumn("emb_kw", F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.cos(i * (F.col("keyword_idx") + 1))))
+    return topics.split_by_keywords(assigned(spark, d), 0, points)
+
+
+def add_topic(spark, d):
+    return topics.add_topic(assigned(spark, d), keyword_vector(0)).select("doc_id", "topic_idx")
+
+
+def topic_sizes(spark, d):
+    return topics.topic_sizes(assigned(spark, d))
+
+
+def first_words(spark, d):
+    return corpus(read_table(spark, d, "documents")).select("doc_id", T.first_words(F.col("text")).alias("head"))
+
+
+def document_chunks(spark, d):
+    return corpus(read_table(spark, d, "documents")).select("doc_id", F.posexplode(T.chunks(F.col("text"), 2000)).alias("chunk", "piece"))
+
+
+def normalised_vectors(spark, d):
+    v = read_table(spark, d, "embeddings").select("vec_id", F.posexplode(V.normalised(F.col("embedding"))).alias("pos", "x"))
+    return v.withColumn("x", F.round("x", 7))
+
+
+def conversation_sizes(spark, d):
+    return read_table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.size(T.tokens(F.col("text")))).alias("n_tokens"))
+
+
+def cluster_split(spark, d):
+    return topics.split_by_clusters(assigned(spark, d), 0, 3)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        corpus_vocab, word_topic_counts, tfidf_topwords, topic_centroids, ranked_documents, knn_search, combine_topics, delete_topic,
+        split_topic_keywords, add_topic, topic_sizes, first_words, document_chunks, normalised_vectors, conversation_sizes, cluster_split,
+    )
+}
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+_TOKEN = T.TOKEN.replace("'", "''")
+_DOCS = "docs AS (SELECT doc_id, text, embedding::DOUBLE[] emb, label topic_idx FROM documents JOIN embeddings ON vec_id = doc_id WHERE text <> '')"
+
+
+def _vocab(source: str) -> str:
+    return rf"""
+tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) token FROM {source}),
+found AS (SELECT doc_id, lower(token) word FROM tok WHERE regexp_matches(token, '[a-zA-Z]') AND regexp_matches(token, '^\p{{L}}')
+  AND NOT regexp_matches(token, '\p{{Nd}}') AND length(token) BETWEEN 3 AND 20 AND lower(token) NOT IN ({_STOP})),
+wc AS (SELECT word, count(*) n_total, count(DISTINCT doc_id) doc_freq FROM found GROUP BY word),
+pos AS (SELECT n_total, row_number() OVER (ORDER BY n_total) - 1 p, count(*) OVER () k, sum(n_total) OVER () all_tokens FROM wc),
+bounds AS (SELECT max(all_tokens) all_tokens, max(n_total) FILTER (p = floor(0.1 * (k - 1))) least, max(n_total) FILTER (p = ceil(0.9 * (k - 1))) most FROM pos),
+vocab AS (SELECT word, n_total, doc_freq, n_total / all_tokens freq FROM wc, bounds WHERE n_total BETWEEN least AND most AND doc_freq >= 3)"""
+
+
+_COUNTS = f"""{_DOCS}, {_vocab("docs")},
+cnt AS (SELECT topic_idx, token word, count(*) n FROM (SELECT topic_idx, unnest(regexp_extract_all(text, '{_TOKEN}')) token FROM docs) WHERE token IN (SELECT word FROM vocab) GROUP BY ALL)"""
+_CENTRES = f"""{_DOCS},
+flat AS (SELECT topic_idx, unnest(range({DIMS})) pos, unnest(emb) x FROM docs WHERE topic_idx >= 0),
+means AS (SELECT topic_idx, pos, avg(x) x FROM flat GROUP BY ALL),
+cent AS (SELECT topic_idx, list(x ORDER BY pos) c FROM means GROUP BY topic_idx),
+own AS (SELECT doc_id, docs.topic_idx, emb, round(list_cosine_similarity(emb, c), 9) similarity FROM docs JOIN cent USING (topic_idx))"""
+
+
+def _compact(source: str) -> str:
+    return f"""SELECT doc_id, CASE WHEN topic_idx < 0 THEN -1 ELSE (SELECT count(DISTINCT o.topic_idx) FROM {source} o WHERE o.topic_idx >= 0 AND o.topic_idx < {source}.topic_idx) END::INT topic_idx FROM {source}"""
+
+
+ORACLES = {
+    "corpus_vocab": f"WITH d AS (SELECT doc_id, text FROM documents WHERE text <> ''), {_vocab('d')} SELECT word, n_total::BIGINT n_total, doc_freq, round(freq, 9) freq FROM vocab",
+    "word_topic_counts": f"WITH {_COUNTS} SELECT topic_idx, word, n FROM cnt",
+    "tfidf_topwords": f"""WITH {_COUNTS}, c AS (SELECT * FROM cnt WHERE topic_idx >= 0),
+s AS (SELECT topic_idx, word, round(n / sum(n) OVER (PARTITION BY topic_idx) * ln(1 + (SELECT count(DISTINCT topic_idx) FROM c) / count(*) OVER (PARTITION BY word)), 9) score FROM c)
+SELECT topic_idx, word, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY topic_idx ORDER BY score DESC, word) - 1)::INT rank FROM s) WHERE rank < 10""",
+    "topic_centroids": f"WITH {_CENTRES} SELECT topic_idx, pos::INT pos, round(x, 7) x FROM means",
+    "ranked_documents": f"WITH {_CENTRES} SELECT topic_idx, doc_id, (row_number() OVER (PARTITION BY topic_idx ORDER BY similarity DESC, doc_id) - 1)::INT doc_pos, round(similarity, 6) similarity FROM own",
+    "knn_search": f"""WITH {_DOCS}, near AS (SELECT doc_id, round(list_cosine_similarity(emb, {_sql_keyword(0)}), 9) s, least(len(string_split(text, ' ')), 1000)::INT n_tokens FROM docs WHERE topic_idx = 0),
+top AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) - 1 r FROM near),
+used AS (SELECT *, sum(n_tokens) OVER (ORDER BY r)::BIGINT used FROM top WHERE r < 20)
+SELECT r::INT rank, doc_id, round(s, 6) similarity, n_tokens, used FROM used WHERE used <= 4000""",
+    "combine_topics": f"WITH {_DOCS}, m AS (SELECT doc_id, CASE WHEN topic_idx IN (0, 2) THEN 2147483647 ELSE topic_idx END topic_idx FROM docs) {_compact('m')}",
+    "delete_topic": f"""WITH {_CENTRES}, near AS (SELECT doc_id, cent.topic_idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_cosine_similarity(emb, c), 9) DESC, cent.topic_idx) r
+FROM docs, cent WHERE docs.topic_idx >= 0 AND cent.topic_idx <> 1), m AS (SELECT doc_id, topic_idx FROM near WHERE r = 1) {_compact('m')}""",
+    "split_topic_keywords": f"""WITH {_DOCS}, kw AS (SELECT i::INT keyword_idx, list_transform(range({DIMS}), lambda j: cos(j * (i + 1))) v FROM range(3) t(i)),
+near AS (SELECT doc_id, keyword_idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_cosine_similarity(emb, v), 9) DESC, keyword_idx) r FROM docs, kw WHERE topic_idx = 0)
+SELECT doc_id, keyword_idx FROM near WHERE r = 1""",
+    "add_topic": f"WITH {_CENTRES}, m AS (SELECT doc_id, CASE WHEN round(list_cosine_similarity(emb, {_sql_keyword(0)}), 9) > similarity THEN 2147483647 ELSE topic_idx END topic_idx FROM own) {_compact('m')}",
+    "topic_sizes": f"WITH {_DOCS} SELECT topic_idx, count(*) n_docs FROM docs GROUP BY topic_idx",
+    "first_words": "SELECT doc_id, array_to_string(string_split(text, ' ')[1:100], ' ') head FROM documents WHERE text <> ''",
+    "document_chunks": "SELECT doc_id, i::INT chunk, substring(text, (i * 2000 + 1)::INT, 2000) piece FROM (SELECT doc_id, text, unnest(range((length(text) + 1999) // 2000)) i FROM documents WHERE text <> '')",
+    "normalised_vectors": f"SELECT vec_id, pos::INT pos, round(x / n, 7) x FROM (SELECT vec_id, unnest(range({DIMS})) pos, unnest(embedding::DOUBLE[]) x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) n FROM embeddings)",
+    "conversation_sizes": f"SELECT conv_id, sum(len(regexp_extract_all(text, '{_TOKEN}')))::BIGINT n_tokens FROM conversations GROUP BY conv_id",
+}
