@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import bpe, exact_dedup, packing, substring_dedup, url_filter
+from topicloom.llm import bpe, exact_dedup, minhash, packing, substring_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op5_url_filter, op9_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_minhash, op4_exact_dedup, op5_url_filter, op7_warc, op9_substring_dedup, op10_packing)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
@@ -45,6 +53,11 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) keep_id, count(*) OVER (PARTITION BY norm) group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) kept, sha256(norm) text_sha256 FROM n""",
     "op5_url_filter": url_filter.oracle_sql(),
+    "op7_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT payload_bytes, sha1(coalesce(html, '')) payload_digest FROM pages),
+w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END winner FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN winner IS DISTINCT FROM page_id AND winner IS NOT NULL THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN winner IS DISTINCT FROM page_id THEN winner END refers_to FROM w""",
     "op9_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) i FROM w)),
