@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import bpe, exact_dedup, langid, minhash, packing, substring_dedup, url_filter, warc
+from topicloom.llm import audio, bpe, exact_dedup, langid, minhash, packing, quality, substring_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_matches(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_minhash, op4_exact_dedup, op5_url_filter, op7_warc, op9_substring_dedup, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_minhash, op4_exact_dedup, op5_url_filter, op6_media, op7_warc, op8_quality, op9_substring_dedup, op10_packing, pipeline)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
