@@ -61,6 +61,19 @@ def test_documents_table(spark):
     assert sorted(map(tuple, got)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_many_near_copies_that_the_smallest_does_not_link(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(700):
+        own = base[:]
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(120)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(own), "", 0))
+    got = minhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_empty_table_and_null_id(spark):
     assert minhash.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     got = minhash.near_dedup(spark.createDataFrame([(None, "a b c d e f", "", 0), (7, "a b c d e f", "", 0)], SCHEMA))

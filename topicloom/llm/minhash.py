@@ -190,19 +190,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(count: int, bits: int, least: float):
-    """Estimated pairs of different components between two blocks of a bucket."""
+def _open_members(count: int, bits: int, least: float):
+    """Members of two blocks of a bucket that are estimated to be similar to one of another component; at most one row each."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group.side == 0], group[group.side == 1]
-        found = []
+        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         if len(a) and len(b):
             other = np.frombuffer(b"".join(b.sig), np.uint8).reshape(len(b), -1)
-            ids, comps = b.id.to_numpy(), b.component.to_numpy()
-            for i, sig, comp in zip(a.id, a.sig, a.component, strict=True):
+            comps = b.component.to_numpy()
+            for k, (sig, comp) in enumerate(zip(a.sig, a.component, strict=True)):
                 like = (similarity(np.frombuffer(sig, np.uint8)[None], other, count, bits) >= least) & (comps != comp)
-                found += [(min(i, j), max(i, j)) for j in ids[like]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+                hit_a[k] = like.any()
+                hit_b |= like
+        return pd.concat([a[hit_a], b[hit_b]]).drop(columns="sig")
+
+    return compare
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, by products of incidence matrices of ``width`` shingles at a time."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    for at in range(0, len(common), width):
+        part = common[at : at + width]
+        sides = []
+        for sets in (a, b):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for k, s in enumerate(sets):
+                own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                place = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                m[k, place[part[place] == own]] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    """Links between two blocks of a bucket, found on full sets: as many as join the components that they connect, so fewer than members."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group.side == 0], group[group.side == 1]
+        found, parent = [], {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        if len(a) and len(b):
+            sets_a, sets_b = ([np.frombuffer(x, np.uint64) for x in side.shingles] for side in (a, b))
+            both = intersections(sets_a, sets_b)
+            sizes = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b])[None]
+            ids_a, ids_b, comps_a, comps_b = a.id.to_numpy(), b.id.to_numpy(), a.component.to_numpy(), b.component.to_numpy()
+            for x, y in np.argwhere((100 * both >= percent * (sizes - both)) & (comps_a[:, None] != comps_b[None])):
+                p, q = root(int(comps_a[x])), root(int(comps_b[y]))
+                if p != q:
+                    parent[q] = p
+                    found.append((min(ids_a[x], ids_b[y]), max(ids_a[x], ids_b[y])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return compare
 
@@ -235,11 +282,15 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     # each member is on side 0 of its own block's pairs and on side 1 of the others'
     rest = rest.withColumn("at", F.explode(F.expr("concat(transform(sequence(block, blocks - 1), j -> struct(block as i, j, 0 as side)), transform(sequence(0, block), i -> struct(i, block as j, 1 as side)))")))
     rest = rest.select("bucket", "at.i", "at.j", "at.side", "id", "component", "sig")
-    pairs = rest.groupBy("bucket", "i", "j").applyInPandas(_block_pairs(count, bits, least), "a long, b long").distinct()
-    pairs = materialise(pairs, "open-pairs")
-    if not pairs.isEmpty():
-        more = confirm(pairs, own, size, percent)
-        labels = components(links.unionByName(more))
+    block, parts = ["bucket", "i", "j"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "bucket long, i int, j int, side int, id long, component long"
+    open_members = materialise(rest.repartition(parts, *block).groupBy(*block).applyInPandas(_open_members(count, bits, least), schema), "open-members")
+    if not open_members.isEmpty():
+        ends = open_members.select("id").distinct()
+        sets = own.join(ends, "id", "left_semi").select("id", "text").mapInArrow(_own_sets(size), "id long, shingles binary")
+        full = open_members.join(materialise(sets, "sets"), "id").select(*block, "side", "id", "component", "shingles")
+        more = full.repartition(parts, *block).groupBy(*block).applyInPandas(_block_links(percent), "a long, b long").distinct()
+        labels = components(materialise(links.unionByName(more), "links"))
     ends = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     found = sized.filter("n > 0").join(ends, "digest").select("id", "n", "component")
     # rows of one id are one document
