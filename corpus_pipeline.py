@@ -19,7 +19,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the smallest doc_id stays."""
+    """Of documents linked at a 5-word-shingle similarity of 0.80 or more the smallest doc_id stays."""
     return minhash.keep_one(docs)
 
 

@@ -17,7 +17,8 @@
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85**4)**24,
 about 2e-8, and is estimated too low with probability of about 1e-9 at a margin
-of 6 standard errors.
+of 6 standard errors. The stage ``keep_one`` links from 0.80 on, where a pair
+shares no band with probability of about 3e-6.
 
 Defined cases: a null text, or one without words, has the empty set and is linked
 with nothing; a text of fewer words than a shingle is one shingle of them all;
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from topicloom.llm.shared import Words, bounded_batches, grams, materialise, mix, signed
 
 SHINGLE, BANDS, ROWS, BITS, MARGIN = 5, 24, 4, 4, 6.0
-PERCENT = 85
+PERCENT = 85  # of near_dedup
+STAGE_PERCENT = 80  # of keep_one
 BLOCK = 256
 LAST = 2**63 - 1
 EMPTY = b""
@@ -299,7 +301,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     return found.select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
-    gone = near_dedup(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+    gone = near_dedup(docs, percent=percent, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

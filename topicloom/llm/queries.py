@@ -26,7 +26,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
