@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm import exact_dedup, langid, minhash, packing, substring_dedup
 from topicloom.llm.queries import tokenizer_path
-from topicloom.llm.shared import materialise
+from topicloom.llm.shared import materialise, with_row_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,19 +14,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts one row stays, of the smallest doc_id; a null doc_id only if the text has no other."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a 5-word-shingle similarity of 0.80 or more the smallest doc_id stays."""
+    """Of documents linked at a 5-word-shingle similarity of 0.80 or more one row stays, of the smallest doc_id; null ones come last."""
     return minhash.keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that start earlier elsewhere; documents of which no word is left go, n_chars is counted anew."""
-    left = substring_dedup.substring_dedup(docs, with_text=True).filter("n_words > n_removed").select("doc_id", "kept_text")
-    out = docs.join(left, "doc_id").withColumn("text", F.col("kept_text"))
+    """Texts without the passages that start earlier elsewhere; documents of which no word is left go, n_chars is counted anew.
+
+    Every row is a document of its own, whether its doc_id is null or repeated; null ones come last.
+    """
+    rows = with_row_key(docs, "doc_id", "_row")
+    left = substring_dedup.substring_dedup(rows, id_col="_row", with_text=True).filter("n_words > n_removed").select(F.col("doc_id").alias("_row"), "kept_text")
+    out = rows.join(left, "_row").withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -38,6 +38,12 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return salted.repartition("digest").groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
+def digests(groups: DataFrame) -> DataFrame:
+    """One row per digest: digest, contents, keep_id, group_size."""
+    totals = [F.count(F.lit(1)).alias("contents"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
+    return materialise(groups.groupBy("digest").agg(*totals), "exact-groups")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """Per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -46,10 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several contents (never seen for SHA-256) is joined on the content as well.
     """
     groups = text_groups(docs, id_col, text_col, salts)
-    by_digest = materialise(
-        groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")),
-        "exact-groups",
-    )
+    by_digest = digests(groups)
     rows = keyed(docs, id_col, text_col)
     found = rows.select("id", "digest").join(by_digest.filter("contents = 1").drop("contents"), "digest")
     several = by_digest.filter("contents > 1").select("digest")
@@ -64,6 +67,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay: one row of each group, of smallest id, or of null id where the group has no other.
+
+    Rows are chosen by id and content, so an id may be null or stand for several
+    texts. Of rows that repeat both, each task keeps one before they meet.
+    """
+    groups = text_groups(docs, id_col, text_col)
+    by_digest = digests(groups)
+    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
+    rows = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_digest", F.unhex(F.sha2(norm, 256)))
+    rows = rows.withColumn("_null", F.col("_id").isNull()).withColumn("_id", F.coalesce("_id", F.lit(0)))
+    winner = [F.coalesce("keep_id", F.lit(0)).alias("_id"), F.col("keep_id").isNull().alias("_null"), F.col("digest").alias("_digest")]
+    keys = ["_id", "_null", "_digest"]
+    stay = by_digest.filter("contents = 1").select(*winner)
+    several = by_digest.filter("contents > 1").select("digest")
+    if several.isEmpty():
+        return rows.dropDuplicates(keys).join(stay, keys, "left_semi").select(docs.columns)
+    own = groups.join(several, "digest", "left_semi").select(*winner, F.col("norm").alias("_norm"))
+    more = rows.withColumn("_norm", norm).dropDuplicates([*keys, "_norm"]).join(own, [*keys, "_norm"], "left_semi")
+    return rows.dropDuplicates(keys).join(stay, keys, "left_semi").select(docs.columns).unionByName(more.select(docs.columns))

@@ -183,7 +183,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _predicted(model: Model):
+def _judge(model: Model):
     def pooled(texts: list[bytes]) -> np.ndarray:
         x, lengths, of = segments(texts)
         sums = np.zeros((len(texts), len(model.langs)))
@@ -197,20 +197,41 @@ def _predicted(model: Model):
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
+    def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        known = [k for k, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
+        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if known:
+            p = pooled([texts[k].encode() for k in known])
+            for k, best, top in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
+                lang[k], score[k] = model.langs[best], float(top)
+        return lang, score
+
+    return judge
+
+
+def _predicted(model: Model):
+    judge = _judge(model)
+
     def batches(it):
         for batch in it:
-            texts = batch.column(2).to_pylist()
-            known = [k for k, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if known:
-                p = pooled([texts[k].encode() for k in known])
-                for k, best, top in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
-                    lang[k], score[k] = model.langs[best], float(top)
+            lang, score = judge(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return batches
 
 
+def _known(model: Model, least: float):
+    """The rows whose language is known. Columns: text, then those of the table."""
+    judge = _judge(model)
+
+    def batches(it):
+        for batch in it:
+            ok = [lang != UNKNOWN and score >= least for lang, score in zip(*judge(batch.column(0).to_pylist()), strict=True)]
+            yield batch.select(list(range(1, batch.num_columns))).filter(pa.array(ok, pa.bool_()))
+
+    return batches
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
     bounded_batches(docs.sparkSession)
@@ -223,7 +244,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose language is known; a score under ``least`` counts as unknown."""
-    judged = identify(docs)
-    gone = judged.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The rows whose language is known; a score under ``least`` counts as unknown. Each row is judged by itself, whatever its id."""
+    bounded_batches(docs.sparkSession)
+    model = train(training_pieces(docs, id_col, text_col))
+    return docs.select(F.col(text_col).alias("_text"), "*").mapInArrow(_known(model, least), docs.schema)

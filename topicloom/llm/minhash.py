@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.shared import Words, bounded_batches, grams, materialise, mix, signed
+from topicloom.llm.shared import Words, bounded_batches, grams, materialise, mix, signed, with_row_key
 
 SHINGLE, BANDS, ROWS, BITS, MARGIN = 5, 24, 4, 4, 6.0
 PERCENT = 85  # of near_dedup
@@ -302,6 +302,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
 
 
 def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
-    gone = near_dedup(docs, percent=percent, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay: one of each component, the first by id; every row is a document of its own, those of null id come last."""
+    rows = with_row_key(docs, id_col, "_row")
+    gone = near_dedup(rows, percent=percent, id_col="_row", text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

@@ -43,6 +43,20 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_row_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """``docs`` with a column ``key``: a long, present and distinct in every row, in the order of the ids; null ids come last.
+
+    Where the ids are like that themselves they are the keys. Else the rows are
+    sorted by id, at random among equal ids, and written with their place.
+    """
+    own = docs.withColumn(key, F.col(id_col).cast("long"))
+    # the largest long stands for null in the operators
+    if own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNull() | (F.col(key) == 2**63 - 1) | (F.col("n") > 1)).isEmpty():
+        return own
+    rows = own.withColumn("_tie", F.rand(1)).orderBy(F.col(key).asc_nulls_last(), "_tie").drop("_tie")
+    return materialise(rows.withColumn(key, F.monotonically_increasing_id()), "row-keys")
+
+
 def row_parts(df: DataFrame, rows: int) -> int:
     """Number of partitions or groups with about so many rows each."""
     return max(1, -(-df.count() // rows))
