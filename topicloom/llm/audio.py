@@ -185,9 +185,15 @@ def rendered(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def media_matches(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Per recording its fingerprint's length, and with the best match of each query: id, n_items, match_id, offset, bit_error."""
+    """All matches of each query beside its recording's summary: id, n_items, n_matches, match_id, offset, overlap, bit_error.
+
+    A recording with matches has one row for each, one without has one row. Rows
+    of one id share the matches of that id.
+    """
     prints = materialise(fingerprints(rendered(vectors, id_col, vec_col), "id", "samples"), "prints")
-    found = search(prints)
-    best = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("bit_error", "match_id", "offset")).alias("best"))
-    out = prints.select("id", F.size("print").cast("long").alias("n_items")).join(best, "id", "left")
-    return out.select("id", "n_items", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("best.match_id").alias("match_id"), F.col("best.offset").alias("offset"), F.col("best.bit_error").alias("bit_error"))
+    found = materialise(search(prints).distinct().withColumnRenamed("query_id", "id"), "matches")
+    counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    own = prints.select("id", F.size("print").cast("long").alias("n_items")).join(counts, "id", "left")
+    own = own.select("id", "n_items", F.coalesce("n", F.lit(0)).alias("n_matches"))
+    rows = own.filter("n_matches > 0").join(found, "id")
+    return rows.unionByName(own.filter("n_matches = 0"), allowMissingColumns=True)
