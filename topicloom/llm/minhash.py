@@ -11,9 +11,12 @@
    ``MARGIN`` standard errors of the threshold.
 4. Candidates are confirmed on full sets; confirmed links give components.
 5. Members of a bucket that are still in different components might be linked
-   without the smallest id being linked to either. Such buckets are split into
-   blocks of about ``BLOCK`` members, and pairs of blocks are compared by
-   signature; estimated pairs of different components are confirmed as well.
+   without the smallest id being linked to either. Blocks of a bucket are
+   compared by signature and give a spanning forest of the estimated pairs, not
+   the pairs. Its trees, over all buckets, are clusters. Each document is in one
+   cluster at most, so its full set is sent once per pair of blocks of that
+   cluster, however many buckets it shares; links between different components
+   are confirmed there. See :func:`cross_blocks` for the size of this step.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85**4)**24,
 about 2e-8, and is estimated too low with probability of about 1e-9 at a margin
@@ -22,8 +25,10 @@ shares no band with probability of about 3e-6.
 
 Defined cases: a null text, or one without words, has the empty set and is linked
 with nothing; a text of fewer words than a shingle is one shingle of them all;
-rows of equal id are one document; rows of null id come last and get a null
-component; an empty table gives an empty result; other columns are ignored.
+every row is a document of its own, whether its id is null or repeated (rows are
+then told apart by their place among the sorted ids, null ones last, and a
+component is named by the id of its first row); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.shared import Words, bounded_batches, grams, materialise, mix, signed, with_row_key
+from topicloom.llm.shared import Words, Workspace, bounded_batches, by_hash, grams, lookup, mix, proper_ids, signed, with_row_key
 
 SHINGLE, BANDS, ROWS, BITS, MARGIN = 5, 24, 4, 4, 6.0
 PERCENT = 85  # of near_dedup
 STAGE_PERCENT = 80  # of keep_one
-BLOCK = 256
-LAST = 2**63 - 1
+BLOCK, WEIGHT, SALTS = 1024, 2**20, 16  # members and shingles of a block
 EMPTY = b""
 
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -73,18 +77,6 @@ def _texts(column) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def _set_rows(size: int):
-    """id, number of shingles, digest of the set. Columns: id, text."""
-
-    def batches(it):
-        for batch in it:
-            sets = shingle_sets(_texts(batch.column(1)), size)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else EMPTY for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
-
-    return batches
-
-
 def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     """The minimum of each permutation over each set, none of which is empty."""
     mult, add = _factors(count)
@@ -116,19 +108,29 @@ def least_estimate(percent: int, count: int, bits: int, margin: float) -> float:
     return t - margin * (p * (1 - p) / count) ** 0.5 / (1 - chance)
 
 
-def _signature_rows(size: int, bands: int, rows: int, bits: int):
-    """id, signature, bucket keys. Columns: id, text (with words)."""
+def _document_rows(size: int, bands: int, rows: int, bits: int):
+    """id, number of shingles, digest of the set, signature, bucket keys. Columns: id, text. Equal sets of a batch share one signature."""
 
     def batches(it):
         for batch in it:
             sets = shingle_sets(_texts(batch.column(1)), size)
-            low = minima(sets, bands * rows)
-            keys = np.zeros((len(sets), bands), np.uint64)
-            for k in range(rows):
-                keys = mix(keys ^ low[:, k::rows].astype(np.uint64)) + np.uint64(k)
-            keys = signed(mix(keys + np.arange(bands, dtype=np.uint64)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in packed(low, bits)], pa.binary()), lists], ["id", "sig", "keys"])
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else EMPTY for s in sets]
+            place, own = {EMPTY: -1}, []
+            for d, s in zip(digests, sets, strict=True):
+                if d not in place:
+                    place[d] = len(own)
+                    own.append(s)
+            sigs, lists = [EMPTY], [[]]
+            if own:
+                low = minima(own, bands * rows)
+                keys = np.zeros((len(own), bands), np.uint64)
+                for k in range(rows):
+                    keys = mix(keys ^ low[:, k::rows].astype(np.uint64)) + np.uint64(k)
+                keys = signed(mix(keys + np.arange(bands, dtype=np.uint64)))
+                sigs, lists = [s.tobytes() for s in packed(low, bits)] + sigs, [*keys, *lists]
+            at = [place[d] for d in digests]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([sigs[k] for k in at], pa.binary()), pa.array([lists[k] for k in at], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "sig", "keys"])
 
     return batches
 
@@ -143,13 +145,13 @@ def _own_sets(size: int):
 
 
 def _estimated(count: int, bits: int, least: float):
-    """Pairs whose estimate is high enough. Columns: a, b, sig_a, sig_b."""
+    """Pairs whose estimate is high enough. Columns: a, b, chunk, sig_a, sig_b."""
 
     def batches(it):
         for batch in it:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (3, 4))
             if batch.num_rows:
-                yield batch.select(["a", "b"]).filter(pa.array(similarity(a, b, count, bits) >= least))
+                yield batch.select(["a", "b", "chunk"]).filter(pa.array(similarity(a, b, count, bits) >= least))
 
     return batches
 
@@ -169,43 +171,64 @@ def _confirmed(percent: int):
     return batches
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, confirmed on full sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(docs.join(ends, "id", "left_semi").select("id", "text").mapInArrow(_own_sets(size), "id long, shingles binary"), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return materialise(both.mapInArrow(_confirmed(percent), "a long, b long"), "links").distinct()
+def components(links: DataFrame, work: Workspace) -> DataFrame:
+    """(id, component) of all linked ids: least label of the neighbours, with pointer jumping, until nothing changes.
 
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of all linked ids: least label of the neighbours, with pointer jumping, until nothing changes."""
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("component")), "labels")
+    A hub's label reaches its neighbours through :func:`lookup`, as one id may have most of the links.
+    """
+    edges = work.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = work.table(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        near = lookup(edges, "b", labels.withColumnRenamed("id", "b"), by_hash("a")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         new = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("far"))
-        new = materialise(new.join(jump, "to", "left").select("id", "old", F.least("to", F.coalesce("far", "to")).alias("component")), "labels")
+        new = lookup(new, "to", jump, by_hash("id")).select("id", "old", F.least("to", "far").alias("component"))
+        new = work.table(new, "labels")
         labels = new.select("id", "component")
         if new.filter("component <> old").isEmpty():
             return labels
 
 
-def _open_members(count: int, bits: int, least: float):
-    """Members of two blocks of a bucket that are estimated to be similar to one of another component; at most one row each."""
+def cross_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows dealt to pairs of blocks (i, j), so that members of one group but different components meet.
+
+    rows: group, salt, id, component, and the rest. Members of a group's largest
+    component need no comparison with each other: side 0 of a block pair holds
+    the other members, side 1 all of them. With r members outside the largest
+    component, each member is sent to about r / ``BLOCK`` pairs. ``size`` weighs
+    a member; blocks hold about ``WEIGHT`` and at most about ``BLOCK`` members.
+    """
+    parts = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("w"))
+    most = F.max(F.struct("n", "w", "component"))
+    whole = parts.groupBy(group).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), most.alias("most")).filter("parts > 1")
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / WEIGHT)).cast("int")
+    whole = whole.select(group, F.col("most.component").alias("major"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("outer"), blocks(F.col("n"), F.col("w")).alias("inner"))
+    whole = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.join(whole, [group, "salt"]).withColumn("_h", F.xxhash64("id"))
+    one = "transform(sequence(0, outer - 1), x -> struct(x as i, cast(pmod(_h, inner) as int) as j, 1 as side))"
+    two = "if(component = major, array(), transform(sequence(0, inner - 1), x -> struct(cast(pmod(_h, outer) as int) as i, x as j, 0 as side)))"
+    return met.withColumn("at", F.explode(F.expr(f"concat({one}, {two})"))).select(group, "at.i", "at.j", "at.side", *[c for c in rows.columns if c not in (group, "salt")])
+
+
+def _forest(count: int, bits: int, least: float):
+    """Pairs of different components that are estimated to be similar: only as many as connect all that are, so fewer than members."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group.side == 0], group[group.side == 1]
-        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        a, b, found = group[group.side == 0], group[group.side == 1], []
         if len(a) and len(b):
-            other = np.frombuffer(b"".join(b.sig), np.uint8).reshape(len(b), -1)
-            comps = b.component.to_numpy()
-            for k, (sig, comp) in enumerate(zip(a.sig, a.component, strict=True)):
-                like = (similarity(np.frombuffer(sig, np.uint8)[None], other, count, bits) >= least) & (comps != comp)
-                hit_a[k] = like.any()
-                hit_b |= like
-        return pd.concat([a[hit_a], b[hit_b]]).drop(columns="sig")
+            sig_a, sig_b = (np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (a, b))
+            ids_a, ids_b, comps_a, comps_b = a.id.to_numpy(), b.id.to_numpy(), a.component.to_numpy(), b.component.to_numpy()
+            tree = np.arange(len(b))
+            step = max(1, 2**16 // len(b))
+            for at in range(0, len(a), step):
+                some = slice(at, at + step)
+                like = (similarity(sig_a[some, None], sig_b[None], count, bits) >= least) & (comps_a[some, None] != comps_b[None])
+                for k in np.flatnonzero(like.any(axis=1)):
+                    trees, first = np.unique(tree[like[k]], return_index=True)
+                    found.extend((ids_a[at + k], x) for x in ids_b[like[k]][first])
+                    if len(trees) > 1:
+                        tree[np.isin(tree, trees)] = trees[0]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return compare
 
@@ -214,22 +237,27 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -
     """Sizes of all intersections of two lists of sorted sets, by products of incidence matrices of ``width`` shingles at a time."""
     out = np.zeros((len(a), len(b)), np.int64)
     common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    sides = []
+    for sets in (a, b):
+        every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        place = np.searchsorted(common, every)
+        place[place == len(common)] = 0
+        hit = common[place] == every if len(common) else np.zeros(len(every), bool)
+        order = np.argsort(place[hit], kind="stable")
+        sides.append((row[hit][order], place[hit][order]))
     for at in range(0, len(common), width):
-        part = common[at : at + width]
-        sides = []
-        for sets in (a, b):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for k, s in enumerate(sets):
-                own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
-                place = np.minimum(np.searchsorted(part, own), len(part) - 1)
-                m[k, place[part[place] == own]] = 1
-            sides.append(m)
-        out += (sides[0] @ sides[1].T).astype(np.int64)
+        ms = []
+        for (row, place), sets in zip(sides, (a, b), strict=True):
+            lo, hi = np.searchsorted(place, [at, at + width])
+            m = np.zeros((len(sets), min(width, len(common) - at)), np.float32)
+            m[row[lo:hi], place[lo:hi] - at] = 1
+            ms.append(m)
+        out += (ms[0] @ ms[1].T).astype(np.int64)
     return out
 
 
 def _block_links(percent: int):
-    """Links between two blocks of a bucket, found on full sets: as many as join the components that they connect, so fewer than members."""
+    """Links between two blocks, found on full sets: as many as join the components that they connect, so fewer than members."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group.side == 0], group[group.side == 1]
@@ -256,53 +284,70 @@ def _block_links(percent: int):
     return compare
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+def _components_of(own: DataFrame, size: int, percent: int, bands: int, rows: int, bits: int) -> DataFrame:
+    """(id, n, component) of rows (id, text) whose ids are present and distinct."""
+    spark = own.sparkSession
     bounded_batches(spark)
+    work = Workspace(spark, "near-dedup")
     count, least = bands * rows, least_estimate(percent, bands * rows, bits, MARGIN)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    sized = materialise(own.mapInArrow(_set_rows(size), "id long, n long, digest binary"), "set-digests")
-    classes = materialise(sized.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    first = own.join(reps, "id", "left_semi").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    signed_docs = materialise(first.mapInArrow(_signature_rows(size, bands, rows, bits), "id long, sig binary, keys array<long>"), "signatures")
-    members = signed_docs.select("id", F.explode("keys").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("bucket", "a")
-    shared = materialise(members.join(hubs, "bucket"), "buckets")  # members of buckets of at least two
-    sig = signed_docs.select("id", "sig")
-    stars = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    stars = stars.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    stars = stars.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated(count, bits, least), "a long, b long").distinct()
-    links = confirm(materialise(stars, "stars"), own, size, percent)
-    labels = components(links)
-    # buckets whose members are in several components
-    placed = shared.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1 and n > 2")
-    open_ = open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(open_, "bucket").join(sig, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # each member is on side 0 of its own block's pairs and on side 1 of the others'
-    rest = rest.withColumn("at", F.explode(F.expr("concat(transform(sequence(block, blocks - 1), j -> struct(block as i, j, 0 as side)), transform(sequence(0, block), i -> struct(i, block as j, 1 as side)))")))
-    rest = rest.select("bucket", "at.i", "at.j", "at.side", "id", "component", "sig")
-    block, parts = ["bucket", "i", "j"], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "bucket long, i int, j int, side int, id long, component long"
-    open_members = materialise(rest.repartition(parts, *block).groupBy(*block).applyInPandas(_open_members(count, bits, least), schema), "open-members")
-    if not open_members.isEmpty():
-        ends = open_members.select("id").distinct()
-        sets = own.join(ends, "id", "left_semi").select("id", "text").mapInArrow(_own_sets(size), "id long, shingles binary")
-        full = open_members.join(materialise(sets, "sets"), "id").select(*block, "side", "id", "component", "shingles")
-        more = full.repartition(parts, *block).groupBy(*block).applyInPandas(_block_links(percent), "a long, b long").distinct()
-        labels = components(materialise(links.unionByName(more), "links"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = work.table(own.mapInArrow(_document_rows(size, bands, rows, bits), "id long, n long, digest binary, sig binary, keys array<long>"), "documents")
+    classes = work.table(sized.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    firsts = work.table(sized.filter("n > 0").select("id", "n", "sig", "keys").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "signatures")
+    sig = firsts.select("id", "sig")
+    # buckets of at least two members, with their smallest id; a bucket's members are spread over salts
+    members = firsts.select("id", F.explode("keys").alias("bucket")).withColumn("salt", by_hash("id", SALTS))
+    hubs = members.groupBy("bucket", "salt").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.min("a").alias("a"), F.sum("n").alias("members")).filter("members > 1")
+    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = work.table(members.join(hubs, ["bucket", "salt"]), "buckets")
+    # each member with its bucket's smallest; a hub's pairs come in chunks
+    stars = shared.filter("a < id").groupBy("a", F.col("id").alias("b")).agg(F.max("members").alias("members"))
+    stars = stars.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / BLOCK)).alias("chunk"))
+    stars = lookup(stars, "a", sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), F.col("chunk")).join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = work.table(stars.select("a", "b", "chunk", "sig_a", "sig_b").mapInArrow(_estimated(count, bits, least), "a long, b long, chunk long"), "stars")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), own, size, work)
+    both = lookup(pairs, "a", sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), F.col("chunk")).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    links = work.table(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    labels = components(links, work)
+    # members of a bucket that are in different components: clusters of those that may be similar
+    placed = shared.filter("members > 2").select("bucket", "salt", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("one", F.lit(0))
+    blocks = cross_blocks(placed, "bucket", "one").join(sig, "id")
+    keys = ["bucket", "i", "j"]
+    forest = work.table(blocks.repartition(parts, *keys).groupBy(*keys).applyInPandas(_forest(count, bits, least), "a long, b long").distinct(), "forest")
+    if not forest.isEmpty():
+        clusters = components(forest, work).withColumnRenamed("component", "cluster").withColumn("salt", by_hash("id", SALTS))
+        sets = _sets_of(clusters.select("id"), own, size, work)
+        full = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(firsts.select("id", "n"), "id")
+        full = cross_blocks(full, "cluster", "n").join(sets, "id")
+        keys = ["cluster", "i", "j"]
+        more = work.table(full.repartition(parts, *keys).groupBy(*keys).applyInPandas(_block_links(percent), "a long, b long"), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), work)
     ends = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    found = sized.filter("n > 0").join(ends, "digest").select("id", "n", "component")
-    # rows of one id are one document
-    found = found.unionByName(sized.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    ids = F.nullif("id", F.lit(LAST))
-    return found.select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    found = lookup(sized.filter("n > 0").select("id", "n", "digest"), "digest", ends, by_hash("id")).select("id", "n", "component")
+    return work.keep(found.unionByName(sized.filter("n = 0").select("id", "n", F.col("id").alias("component"))), "near-groups")
+
+
+def _sets_of(ids: DataFrame, own: DataFrame, size: int, work: Workspace) -> DataFrame:
+    """(id, shingles): the full sets of some documents, each read and sent once."""
+    return work.table(own.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_own_sets(size), "id long, shingles binary"), "sets")
+
+
+def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    own = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"))
+    if proper_ids(own, "own"):
+        found = _components_of(own.withColumnRenamed("own", "id"), size, percent, bands, rows, bits)
+        return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    keyed = with_row_key(own, "own", "id")
+    found = _components_of(keyed.select("id", "text"), size, percent, bands, rows, bits).join(keyed.select("id", F.col("own").alias("doc_id")), "id")
+    named = lookup(found, "component", keyed.select(F.col("id").alias("component"), F.col("own").alias("component_id")), by_hash("id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, the first by id; every row is a document of its own, those of null id come last."""
     rows = with_row_key(docs, id_col, "_row")
-    gone = near_dedup(rows, percent=percent, id_col="_row", text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
+    own = rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"))
+    gone = _components_of(own, SHINGLE, percent, BANDS, ROWS, BITS).filter("id <> component").select(F.col("id").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(docs.columns)

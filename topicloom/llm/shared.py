@@ -43,6 +43,49 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Workspace:
+    """Tables of one job in the shared folder; all but those to ``keep`` are removed at its end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.count = spark, work_path(spark, name), 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and read back: cuts the lineage and survives lost executors."""
+        self.count += 1
+        path = f"{self.base}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The job's result as a table outside the workspace; the workspace goes."""
+        out = materialise(df, name)
+        delete(self.spark, self.base)
+        return out
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, salt, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``, where a few keys may hold most rows.
+
+    ``salt`` deals the rows of a key to groups. A key's row of ``table`` is sent
+    once to each of the key's groups, so a hot key never meets in one task.
+    """
+    salted = rows.withColumn("_salt", salt)
+    found = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(found, [key, "_salt"], how).drop("_salt")
+
+
+def by_hash(col: str, groups: int = 16):
+    """Group of a value, as a salt for :func:`lookup`."""
+    return F.pmod(F.xxhash64(col), F.lit(groups)).cast("int")
+
+
+def proper_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether every id is present, a long below the largest one, and no other row's."""
+    key = F.col(id_col).cast("long")
+    bad = docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("k").isNull() | (F.col("k") == 2**63 - 1) | (F.col("n") > 1))
+    return bad.isEmpty()
+
+
 def with_row_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     """``docs`` with a column ``key``: a long, present and distinct in every row, in the order of the ids; null ids come last.
 
@@ -50,8 +93,7 @@ def with_row_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     sorted by id, at random among equal ids, and written with their place.
     """
     own = docs.withColumn(key, F.col(id_col).cast("long"))
-    # the largest long stands for null in the operators
-    if own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNull() | (F.col(key) == 2**63 - 1) | (F.col("n") > 1)).isEmpty():
+    if proper_ids(docs, id_col):
         return own
     rows = own.withColumn("_tie", F.rand(1)).orderBy(F.col(key).asc_nulls_last(), "_tie").drop("_tie")
     return materialise(rows.withColumn(key, F.monotonically_increasing_id()), "row-keys")
@@ -62,10 +104,6 @@ def row_parts(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
-def id_hash(*cols: str):
-    return F.xxhash64(*cols)
-
-
 # ---- vectorised word hashing -------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +193,10 @@ def grams(word_hash: np.ndarray, n: int) -> np.ndarray:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Batches between the JVM and Python hold so many rows and bytes at most, so long texts don't pile up."""
+    """Batches between the JVM and Python hold so many rows and bytes at most, so long texts don't pile up.
+
+    Sets the caller's session, as plans read these settings when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
@@ -164,7 +205,7 @@ class Windows:
     """Hashes of all windows of ``size`` words of a batch of texts; windows never cross texts.
 
     ``at`` are the windows' first words (indices into the batch's words), ``of``
-    the text of each, ``hash`` and ``check`` two independent hashes.
+    the text of each, ``hash`` their hashes.
     """
 
     def __init__(self, words: Words, size: int):
