@@ -5,8 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words with inner apostrophes, hyphens and dots kept together; punctuation is left out.
-TOKEN = r"[\p{L}\p{N}_]+(?:['.-][\p{L}\p{N}_]+)*"
+# The rules of the Penn Treebank word tokenizer, as (pattern, replacement) in order of use. A full stop is split off
+# at the end of the text and before a capital letter. No look-around, so that other SQL engines can run them.
+TREEBANK = [
+    ('^"', "`` "),
+    ('([ (\\[{<])"', "$1 `` "),
+    ("([:,])([^0-9])", " $1 $2"),
+    ("([:,])$", " $1 "),
+    ("\\.\\.\\.", " ... "),
+    ("[;@#$%&]", " $0 "),
+    ("([^.])\\.([\\])}>\"']*)[ \\t\\n]+([A-Z])", "$1 . $2 $3"),
+    ("([^.])\\.([\\])}>\"']*)[ \\t\\n]*$", "$1 . $2 "),
+    ("[?!]", " $0 "),
+    ("([^'])' ", "$1 ' "),
+    ("[\\]\\[(){}<>]", " $0 "),
+    ("--", " -- "),
+    ("''", " '' "),
+    ('"', " '' "),
+    ("([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    ("(?i)\\b(can)(not)\\b", "$1 $2"),
+    ("(?i)\\b(gon|wan)(na)\\b", "$1 $2"),
+    ("(?i)\\b(got)(ta)\\b", "$1 $2"),
+    ("(?i)\\b(lem|gim)(me)\\b", "$1 $2"),
+    ("(?i)\\b(d)('ye)\\b", "$1 $2"),
+    ("(?i)\\b(more)('n)\\b", "$1 $2"),
+    ("(?i) ('t)(is|was)\\b", " $1 $2"),
+]
 
 # The English stop-word list.
 STOP_WORDS = (
@@ -21,14 +46,36 @@ STOP_WORDS = (
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Words by the Treebank rules, within the JVM."""
+    out = F.concat(F.lit(" "), F.regexp_replace(text, "[\\t\\n\\r\\f]", " "), F.lit(" "))
+    for k, (pattern, replacement) in enumerate(TREEBANK):
+        # the first rule and those on the text's end see it without the spaces around it
+        out = F.regexp_replace(F.trim(out) if "$" in pattern[-1:] or k == 0 else out, pattern, replacement)
+        if "$" in pattern[-1:] or k == 0:
+            out = F.concat(F.lit(" "), out, F.lit(" "))
+    return F.filter(F.split(out, " +"), lambda t: t != "")
 
 
-def is_vocabulary_word(word: Column, stop_words: bool = True, numbers: bool = True, short: bool = True, min_len: int = 3, max_len: int = 20) -> Column:
-    """Whether a token may enter the vocabulary: has a Latin letter, starts with a letter, and passes the filters that are on."""
+def tokens_sql(text: str) -> str:
+    """The same words in DuckDB's SQL."""
+    out = f"' ' || regexp_replace({text}, '[\\t\\n\\r\\f]', ' ', 'g') || ' '"
+    for k, (pattern, replacement) in enumerate(TREEBANK):
+        quoted = [x.replace("'", "''") for x in (pattern, replacement.replace("$", "\\"))]
+        if "$" in pattern[-1:] or k == 0:
+            out = f"' ' || regexp_replace(trim({out}), '{quoted[0]}', '{quoted[1]}', 'g') || ' '"
+        else:
+            out = f"regexp_replace({out}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return f"list_filter(regexp_split_to_array({out}, ' +'), lambda t: t <> '')"
+
+
+def is_vocabulary_word(word: Column, stop_words: bool | list[str] = True, numbers: bool = True, short: bool = True, punctuation: bool = True, min_len: int = 3, max_len: int = 20) -> Column:
+    """Whether a token may enter the vocabulary: has a Latin letter, starts with a letter, and passes the filters that are on.
+
+    ``stop_words`` is a switch or a list of its own. ``punctuation`` is kept for callers; the letter tests cover it either way.
+    """
     ok = word.rlike("[a-zA-Z]") & word.rlike(r"^\p{L}") & (F.length(word) <= max_len)
     if stop_words:
-        ok &= ~F.lower(word).isin(STOP_WORDS)
+        ok &= ~F.lower(word).isin(STOP_WORDS if stop_words is True else list(stop_words))
     if numbers:
         ok &= ~word.rlike(r"\p{Nd}")
     if short:
@@ -48,6 +95,18 @@ def chunks(text: Column, width: int) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+def literal_chunks(text: Column, width: int) -> Column:
+    """Pieces of ``width`` characters, and always the rest after the last whole one: an empty piece, or the text again where it is shorter."""
+    whole = F.floor(F.length(text) / width).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: F.substring(text, i * width + 1, F.lit(width)))
+    return F.concat(pieces, F.array(F.substring(text, whole * width + 1, F.lit(width))))
+
+
+def split_long(text: Column, n_tokens: Column, most: int) -> Column:
+    """The text alone, or its pieces of ``most`` characters where it has more than ``most`` tokens."""
+    return F.when(n_tokens > most, chunks(text, most)).otherwise(F.array(text))
+
+
 def first_integer(text: Column) -> Column:
     """The first integer in a model's reply, null where there is none."""
     return F.nullif(F.regexp_extract(text, r"(-?\d+)", 1), F.lit("")).cast("int")

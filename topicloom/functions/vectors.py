@@ -29,8 +29,14 @@ def normalised(a: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, by: list[str], vec: str, out: str) -> DataFrame:
-    """Mean vector of each group; sums per position are combined before the shuffle."""
-    flat = df.select(*by, F.posexplode(doubles(F.col(vec))).alias("pos", "x"))
-    means = flat.groupBy(*by, "pos").agg(F.avg("x").alias("x"))
-    packed = means.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("xs"))
-    return packed.select(*by, F.transform("xs", lambda p: p["x"]).alias(out))
+    """Mean vector of each group (of all rows without ``by``); sums are combined before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    own = df.select(*by, array_to_vector(doubles(F.col(vec))).alias("_v"))
+    return own.groupBy(*by).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(*by, vector_to_array("_m").alias(out))
+
+
+def frobenius_norm(df: DataFrame, vec: str) -> DataFrame:
+    """One row: the norm of all vectors as one matrix."""
+    return df.agg(F.sqrt(F.sum(dot(F.col(vec), F.col(vec)))).alias("norm"))

@@ -9,20 +9,30 @@ from pyspark.sql.window import Window
 from topicloom.functions.vectors import cosine, mean_vectors
 
 
-def centroids(docs: DataFrame) -> DataFrame:
-    """(topic_idx, centroid_hd), without outliers."""
-    return mean_vectors(docs.filter("topic_idx >= 0"), ["topic_idx"], "emb_hd", "centroid_hd")
+#: More points than this are joined, not sent to every row as an array.
+MOST_POINTS = 4096
 
 
-def similarities(docs: DataFrame, centres: DataFrame) -> DataFrame:
+def centroids(docs: DataFrame, vec: str = "emb_hd", centre: str = "centroid_hd") -> DataFrame:
+    """(topic_idx, centroid), without outliers."""
+    return mean_vectors(docs.filter("topic_idx >= 0"), ["topic_idx"], vec, centre)
+
+
+def global_centroid(docs: DataFrame, vec: str = "emb_hd", centre: str = "centroid_hd") -> DataFrame:
+    """One row: the mean vector of all documents."""
+    return mean_vectors(docs, [], vec, centre)
+
+
+def similarities(docs: DataFrame, centres: DataFrame, vec: str = "emb_hd", centre: str = "centroid_hd") -> DataFrame:
     """Cosine of each document to its own topic's centroid."""
-    return docs.join(centres, "topic_idx").withColumn("similarity", F.round(cosine(F.col("emb_hd"), F.col("centroid_hd")), 9))
+    return docs.join(centres, "topic_idx").withColumn("similarity", F.round(cosine(F.col(vec), F.col(centre)), 9))
 
 
-def ranked_documents(docs: DataFrame) -> DataFrame:
+def ranked_documents(docs: DataFrame, centres: DataFrame | None = None, vec: str = "emb_hd", centre: str = "centroid_hd") -> DataFrame:
     """(topic_idx, doc_id, doc_pos, similarity): place of each document in its topic."""
     order = Window.partitionBy("topic_idx").orderBy(F.col("similarity").desc(), "doc_id")
-    return similarities(docs, centroids(docs)).select("topic_idx", "doc_id", (F.row_number().over(order) - 1).alias("doc_pos"), "similarity")
+    own = similarities(docs, centroids(docs, vec, centre) if centres is None else centres, vec, centre)
+    return own.select("topic_idx", "doc_id", (F.row_number().over(order) - 1).alias("doc_pos"), "similarity")
 
 
 def knn_search(docs: DataFrame, query: Column, topic: int, k: int = 20, tokens: Column | None = None, per_doc: int = 1000, budget: int = 15_000) -> DataFrame:
@@ -49,26 +59,51 @@ def combine_topics(assignment: DataFrame, topics: list[int]) -> DataFrame:
 
 
 def nearest(docs: DataFrame, points: DataFrame, vec: str, centre: str, name: str) -> DataFrame:
-    """Each document with the nearest of a few points (a topic's centroids or a caller's keywords); ties go to the lowest index."""
-    near = docs.crossJoin(F.broadcast(points)).withColumn("sim", F.round(cosine(F.col(vec), F.col(centre)), 9))
-    return near.groupBy("doc_id").agg(F.max_by(name, F.struct("sim", -F.col(name))).alias(name))
-
-
-def delete_topics(docs: DataFrame, topics: list[int]) -> DataFrame:
-    """(doc_id, topic_idx): every document that isn't an outlier goes to the nearest centroid that is left."""
-    left = centroids(docs).filter(~F.col("topic_idx").isin(topics))
-    return reindexed(nearest(docs.filter("topic_idx >= 0").select("doc_id", "emb_hd"), left, "emb_hd", "centroid_hd", "topic_idx"))
-
-
-def split_by_keywords(docs: DataFrame, topic: int, keywords: DataFrame) -> DataFrame:
-    """(doc_id, keyword_idx) of a topic's documents; keywords: keyword_idx, emb_kw."""
-    return nearest(docs.filter(F.col("topic_idx") == topic).select("doc_id", "emb_hd"), keywords, "emb_hd", "emb_kw", "keyword_idx")
-
-
-def add_topic(docs: DataFrame, keyword: Column) -> DataFrame:
+    """Each row with the nearest of a few points (a topic's centroids or a caller's keywords); ties go to the lowest index.
+
+    Up to ``MOST_POINTS`` points go to every row as one array: no shuffle, and rows of one id stay apart. More are joined.
+    """
+    index = F.col(name).cast("int")
+    if points.count() > MOST_POINTS:
+        near = docs.crossJoin(points).withColumn("sim", F.round(cosine(F.col(vec), F.col(centre)), 9))
+        return near.groupBy("doc_id").agg(F.max_by(index, F.struct("sim", -index)).alias(name))
+    every = points.agg(F.collect_list(F.struct((-index).alias("i"), F.col(centre).alias("p"))).alias("_points"))
+    best = F.array_max(F.transform("_points", lambda x: F.struct(F.round(cosine(F.col(vec), x["p"]), 9).alias("sim"), x["i"].alias("i"))))
+    return docs.crossJoin(F.broadcast(every)).select("doc_id", (-best["i"]).alias(name))
+
+
+def delete_topics(docs: DataFrame, topics: list[int], centres: DataFrame | None = None, vec: str = "emb_hd", centre: str = "centroid_hd", only_orphans: bool = False) -> DataFrame:
+    """(doc_id, topic_idx): every document that isn't an outlier goes to the nearest centroid that is left; with ``only_orphans`` only those of the deleted topics."""
+    left = (centroids(docs, vec, centre) if centres is None else centres).filter(~F.col("topic_idx").isin(topics))
+    inner = docs.filter("topic_idx >= 0")
+    if not only_orphans:
+        return reindexed(nearest(inner.select("doc_id", vec), left, vec, centre, "topic_idx"))
+    gone = F.col("topic_idx").isin(topics)
+    moved = nearest(inner.filter(gone).select("doc_id", vec), left, vec, centre, "topic_idx")
+    return reindexed(inner.filter(~gone).select("doc_id", "topic_idx").unionByName(moved))
+
+
+def split_by_keywords(docs: DataFrame, topic: int, keywords: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc_id, keyword_idx) of a topic's documents; keywords: keyword_idx, emb_kw. With ``strict`` one keyword for all documents is an error."""
+    out = nearest(docs.filter(F.col("topic_idx") == topic).select("doc_id", "emb_hd"), keywords, "emb_hd", "emb_kw", "keyword_idx")
+    if strict and out.select("keyword_idx").distinct().count() < 2:
+        raise ValueError("all documents of the topic are nearest to one keyword")
+    return out
+
+
+def split_by_assignment(docs: DataFrame, topic: int, parts: DataFrame) -> DataFrame:
+    """(doc_id, topic_idx, is_noise): a topic in parts (doc_id, part), which come last in order of ``part``; a part -1 becomes a topic as well."""
+    own = docs.select("doc_id", "topic_idx").join(parts.select("doc_id", "part"), "doc_id", "left")
+    mine = F.col("topic_idx") == topic
+    rank = parts.select("part").distinct().withColumn("new", F.row_number().over(Window.orderBy("part")) + (2**31 - 2 - MOST_POINTS))
+    placed = own.join(F.broadcast(rank.limit(MOST_POINTS)), "part", "left")
+    return reindexed(placed.select("doc_id", F.when(mine & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("topic_idx")).alias("topic_idx"), (mine & (F.col("part") == -1)).alias("is_noise")))
+
+
+def add_topic(docs: DataFrame, keyword: Column, centres: DataFrame | None = None, vec: str = "emb_hd", centre: str = "centroid_hd") -> DataFrame:
     """(doc_id, topic_idx): documents strictly closer to the keyword than to their own centroid form a new last topic."""
-    own = similarities(docs, centroids(docs))
-    closer = F.round(cosine(F.col("emb_hd"), keyword), 9) > F.col("similarity")
+    own = similarities(docs, centroids(docs, vec, centre) if centres is None else centres, vec, centre)
+    closer = F.round(cosine(F.col(vec), keyword), 9) > F.col("similarity")
     return reindexed(own.select("doc_id", F.when(closer, F.lit(2**31 - 1)).otherwise(F.col("topic_idx")).alias("topic_idx")))
 
 
@@ -76,18 +111,3 @@ def topic_sizes(docs: DataFrame) -> DataFrame:
     return docs.groupBy("topic_idx").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def split_by_clusters(docs: DataFrame, topic: int, parts: int, seed: int = 42) -> DataFrame:
-    """(doc_id, part) of a topic's documents by k-means on normalised vectors."""
-    return clustered(docs.filter(F.col("topic_idx") == topic), parts, seed).withColumnRenamed("cluster", "part")
-
-
-def clustered(docs: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(doc_id, cluster): L2-normalise, then bisecting k-means, which needs no pairwise distances."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from topicloom.functions.vectors import normalised
-
-    rows = docs.select("doc_id", array_to_vector(normalised(F.col("emb_hd"))).alias("v"))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows)
-    return model.transform(rows).select("doc_id", "cluster")

@@ -1 +1 @@
-
+"""Placing streams of documents in topics, and counting streams of events."""
