@@ -46,7 +46,7 @@ from topicloom.llm.shared import Words, Workspace, bounded_batches, by_hash, gra
 SHINGLE, BANDS, ROWS, BITS, MARGIN = 5, 24, 4, 4, 6.0
 PERCENT = 85  # of near_dedup
 STAGE_PERCENT = 80  # of keep_one
-BLOCK, WEIGHT, SALTS = 1024, 2**20, 16  # members and shingles of a block
+BLOCK, WEIGHT, SALTS = 512, 2**20, 16  # members and shingles of a block
 EMPTY = b""
 
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -211,24 +211,31 @@ def cross_blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
 
 
 def _forest(count: int, bits: int, least: float):
-    """Pairs of different components that are estimated to be similar: only as many as connect all that are, so fewer than members."""
+    """Trees of members that pairs of different components, estimated to be similar, connect: each member with its tree's smallest id.
+
+    Buckets that share members mostly share that id as well, so few of these pairs are different.
+    """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b, found = group[group.side == 0], group[group.side == 1], []
+        a, b = group[group.side == 0], group[group.side == 1]
         if len(a) and len(b):
             sig_a, sig_b = (np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (a, b))
             ids_a, ids_b, comps_a, comps_b = a.id.to_numpy(), b.id.to_numpy(), a.component.to_numpy(), b.component.to_numpy()
-            tree = np.arange(len(b))
+            tree, tree_a = np.arange(len(b)), np.full(len(a), -1)
             step = max(1, 2**16 // len(b))
             for at in range(0, len(a), step):
                 some = slice(at, at + step)
                 like = (similarity(sig_a[some, None], sig_b[None], count, bits) >= least) & (comps_a[some, None] != comps_b[None])
                 for k in np.flatnonzero(like.any(axis=1)):
-                    trees, first = np.unique(tree[like[k]], return_index=True)
-                    found.extend((ids_a[at + k], x) for x in ids_b[like[k]][first])
+                    trees = np.unique(tree[like[k]])
                     if len(trees) > 1:
                         tree[np.isin(tree, trees)] = trees[0]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                    tree_a[at + k] = np.flatnonzero(like[k])[0]  # a place in b, whose tree may still change
+            met = tree_a >= 0
+            member = pd.DataFrame({"tree": np.concatenate([tree, tree[tree_a[met]]]), "b": np.concatenate([ids_b, ids_a[met]])})
+            member["a"] = member.groupby("tree")["b"].transform("min")
+            return member[member.a < member.b][["a", "b"]]
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return compare
 
