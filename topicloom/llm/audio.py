@@ -9,9 +9,11 @@ filters give one packed 32-bit integer for each frame.
 offset with most votes is judged by the share of unequal bits in the overlap.
 
 Search finds candidates by items over all recordings, for a stated query set.
-An item held by very many recordings is dealt into salted parts, so it isn't
-gathered in one task, and none is dropped. A pair is confirmed on whole
-fingerprints.
+Recordings of equal fingerprints are one class, and only the smallest id of each
+class is searched, so copies are never paired: the result is the classes' members
+and the matches between classes. An item held by very many classes is dealt into
+salted parts, so it isn't gathered in one task, and none is dropped. A pair is
+confirmed on whole fingerprints.
 
 Recordings are 16-bit little-endian mono samples in a binary column. ``rendered``
 makes such recordings of vectors, one note per component, for tables that hold
@@ -20,7 +22,8 @@ no media.
 Defined cases: null samples, or fewer than one filter's width of frames, give an
 empty fingerprint, which matches nothing; an odd last byte is left out; silence
 has the fingerprint of equal energy; repeated rows are fingerprinted each;
-null ids are never queries nor matches; other columns are ignored.
+null ids are never queries nor matches, and are members of no class; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.shared import bounded_batches, materialise
+from topicloom.llm.shared import bounded_batches, by_hash, lookup, materialise, row_parts
 
 RATE, WINDOW, HOP = 11_025, 2048, 512
 LOW_HZ, HIGH_HZ, WIDTH = 60.0, 3500.0, 16
@@ -156,13 +159,18 @@ def _aligned(it):
 
 
 def search(prints: DataFrame, every: int = 100) -> DataFrame:
-    """Pairs (query_id, match_id, offset, overlap, bit_error): queries are ids divisible by ``every``, against all other recordings."""
-    items = prints.filter("id is not null").select("id", F.explode(F.array_distinct("print")).alias("item"))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    asked = items.filter(F.col("id") % every == 0).select(F.col("id").alias("q"), "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    """Pairs (query_id, match_id, offset, overlap, bit_error): queries against all other recordings.
+
+    Queries are the ids divisible by ``every``, or the rows whose column ``asks`` is true where there is one.
+    """
+    asks = lambda every: F.col("asks") if "asks" in prints.columns else F.col("id") % every == 0
+    items = prints.filter("id is not null").select("id", *(c for c in prints.columns if c == "asks"), F.explode(F.array_distinct("print")).alias("item"))
+    salted = items.withColumn("salt", by_hash("id", SALTS))
+    asked = items.filter(asks(every)).select(F.col("id").alias("q"), "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     pairs = salted.join(asked, ["item", "salt"]).filter("q <> id").select("q", F.col("id").alias("m")).distinct()
     full = prints.filter("id is not null")
-    both = pairs.join(full.select(F.col("id").alias("m"), F.col("print").alias("pm")), "m").join(full.select(F.col("id").alias("q"), F.col("print").alias("pq")), "q")
+    both = lookup(pairs, "m", full.select(F.col("id").alias("m"), F.col("print").alias("pm")), by_hash("q"))
+    both = lookup(both, "q", full.select(F.col("id").alias("q"), F.col("print").alias("pq")), by_hash("m", 64))
     return both.select("q", "m", "pq", "pm").mapInArrow(_aligned, "query_id long, match_id long, offset long, overlap long, bit_error double")
 
 
@@ -197,3 +205,32 @@ def media_matches(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     own = own.select("id", "n_items", F.coalesce("n", F.lit(0)).alias("n_matches"))
     rows = own.filter("n_matches > 0").join(found, "id")
     return rows.unionByName(own.filter("n_matches = 0"), allowMissingColumns=True)
+
+
+def class_matches(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100) -> DataFrame:
+    """Members and matches of classes of equal fingerprints: kind, id, class_id, n_items, class_size, n_matches, match_class, offset, overlap, bit_error.
+
+    A row of kind ``member`` for each recording: its class, named by the smallest
+    id in it, the class's size, and how many other recordings match it, those of
+    its own class included; null where no id of the class is divisible by
+    ``every``, as such a class is no query. A row of kind ``match`` for each pair
+    of a query class and another class. Recordings with null ids or empty
+    fingerprints have no class; rows of one id and fingerprint are one recording.
+    """
+    rows = vectors.repartition(row_parts(vectors, 1000))  # few bytes a row, but much work
+    prints = materialise(fingerprints(rendered(rows, id_col, vec_col), "id", "samples"), "prints")
+    keyed = prints.withColumn("n_items", F.size("print").cast("long")).withColumn("digest", F.when((F.col("n_items") > 0) & F.col("id").isNotNull(), F.sha2(F.to_json("print"), 256)))
+    own = keyed.filter("digest is not null").select("digest", "id", "print").dropDuplicates(["digest", "id"])
+    by = by_hash("id", SALTS)
+    some = own.groupBy("digest", by.alias("salt")).agg(F.min_by("print", "id").alias("print"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.max((F.col("id") % every == 0).cast("int")).alias("asks"))
+    classes = some.groupBy("digest").agg(F.min_by("print", "least").alias("print"), F.min("least").alias("id"), F.sum("n").alias("class_size"), (F.max("asks") == 1).alias("asks"))
+    classes = materialise(classes, "classes")
+    found = materialise(search(classes.select("id", "print", "asks")).distinct(), "matches")
+    sizes = classes.select(F.col("id").alias("match_id"), F.col("class_size").alias("size"))
+    others = lookup(found.select("query_id", "match_id"), "match_id", sizes, by_hash("query_id")).groupBy(F.col("query_id").alias("id")).agg(F.sum("size").alias("others"))
+    counts = classes.join(others, "id", "left").select("digest", F.col("id").alias("class_id"), "class_size", F.when(F.col("asks"), F.coalesce("others", F.lit(0)) + F.col("class_size") - 1).alias("n_matches"))
+    members = lookup(keyed.filter("digest is not null").select("id", "n_items", "digest"), "digest", counts, by_hash("id")).drop("digest")
+    members = members.unionByName(keyed.filter("digest is null").select("id", "n_items"), allowMissingColumns=True).withColumn("kind", F.lit("member"))
+    matches = found.select(F.lit("match").alias("kind"), F.col("query_id").alias("class_id"), F.col("match_id").alias("match_class"), "offset", "overlap", "bit_error")
+    every_row = members.unionByName(matches, allowMissingColumns=True)
+    return every_row.select("kind", "id", "class_id", "n_items", "class_size", "n_matches", "match_class", "offset", "overlap", "bit_error")

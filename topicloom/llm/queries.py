@@ -38,7 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_matches(table(spark, sf_dir, "embeddings"))
+    return audio.class_matches(table(spark, sf_dir, "embeddings"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
