@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.shared import SPACES, materialise
+from topicloom.llm.shared import SPACES, by_hash, lookup, materialise
 
 SALTS = 16
 
@@ -47,14 +47,14 @@ def digests(groups: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """Per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows meet their group on the digest alone where that digest stands for one
+    Rows meet their group, dealt by salts, on the digest alone where that digest stands for one
     content, which the third stage has found by comparing contents; a digest of
     several contents (never seen for SHA-256) is joined on the content as well.
     """
     groups = text_groups(docs, id_col, text_col, salts)
     by_digest = digests(groups)
     rows = keyed(docs, id_col, text_col)
-    found = rows.select("id", "digest").join(by_digest.filter("contents = 1").drop("contents"), "digest")
+    found = lookup(rows.select("id", "digest"), "digest", by_digest.filter("contents = 1").drop("contents"), by_hash("id", salts))
     several = by_digest.filter("contents > 1").select("digest")
     if not several.isEmpty():
         own = groups.join(several, "digest", "left_semi")
