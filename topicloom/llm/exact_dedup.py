@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = text_groups(docs, id_col, text_col, salts)
     by_digest = digests(groups)
     rows = keyed(docs, id_col, text_col)
-    found = lookup(rows.select("id", "digest"), "digest", by_digest.filter("contents = 1").drop("contents"), by_hash("id", salts))
+    hashed = materialise(rows.select("id", "digest"), "exact-digests")  # texts are hashed once, not for each side of the lookup
+    found = lookup(hashed, "digest", by_digest.filter("contents = 1").drop("contents"), by_hash("id", salts))
     several = by_digest.filter("contents > 1").select("digest")
     if not several.isEmpty():
         own = groups.join(several, "digest", "left_semi")
