@@ -226,7 +226,10 @@ def _known(model: Model, least: float):
 
     def batches(it):
         for batch in it:
-            ok = [lang != UNKNOWN and score >= least for lang, score in zip(*judge(batch.column(0).to_pylist()), strict=True)]
+            if not model.langs:
+                ok = [bool(t and _LETTER.search(t)) for t in batch.column(0).to_pylist()]
+            else:
+                ok = [lang != UNKNOWN and score >= least for lang, score in zip(*judge(batch.column(0).to_pylist()), strict=True)]
             yield batch.select(list(range(1, batch.num_columns))).filter(pa.array(ok, pa.bool_()))
 
     return batches
@@ -244,7 +247,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose language is known; a score under ``least`` counts as unknown. Each row is judged by itself, whatever its id."""
+    """The rows whose language is known; a score under ``least`` counts as unknown. Each row is judged by itself, whatever its id.
+
+    Where no model could be learned, the rows whose text has a letter.
+    """
     bounded_batches(docs.sparkSession)
     model = train(training_pieces(docs, id_col, text_col))
     return docs.select(F.col(text_col).alias("_text"), "*").mapInArrow(_known(model, least), docs.schema)
