@@ -9,12 +9,15 @@ from topicloom.llm.shared import materialise, with_row_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language go: null texts and those without a letter. Every other one is given a language and stays, whatever its score.
+
+    Rows of null or repeated ids are judged each; an empty table gives an empty one; other columns stay.
+    """
     return langid.keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, of the smallest doc_id; a null doc_id only if the text has no other."""
+    """Of equal texts one row stays, of the smallest doc_id; a null doc_id only if the text has no other. Empty tables and other columns pass."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -41,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("substrings", substrings), ("packed", packed)]
 
-#: Tokenizers and the recurrent network can't be expressed in SQL; tests/llm compares the stages with brute force.
+#: Tokenizers and the recurrent network can't be expressed in SQL; tests/llm compares their operators with brute force.
 ORACLE_SQL = None
 
 
