@@ -12,8 +12,8 @@ from topicloom.sources.work import written
 
 
 def words_of(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per token."""
-    return docs.select(*keep, F.explode(tokens(F.col("text"))).alias("token"))
+    """One row per token. The outer explode keeps Catalyst from testing the size of the tokens first, which would tokenise twice more."""
+    return docs.select(*keep, F.explode_outer(tokens(F.col("text"))).alias("token")).filter("token is not null")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def words_per_topic(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
     One row a word, so that no topic's words have to fit into one task.
     """
-    found = docs.select("topic_idx", "doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    found = docs.select("topic_idx", "doc_id", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "token")).filter("token is not null")
     return found.withColumn("word", F.lower("token")).join(vocab.select("word"), "word", "left_semi").select("topic_idx", "doc_id", "pos", "word")
 
 
