@@ -330,22 +330,23 @@ def _kept_rows(window: int, with_text: bool, key: bytes):
     def batches(it):
         for batch in it:
             texts = _texts(batch.column(1))
-            words = Words(texts)
+            plain = [b" ".join(t.split()) for t in texts]
+            words = Words(plain)
             windows = Windows(words, window)
             hashes = signed(windows.hash)
             n = len(words.hash)
             flagged = np.zeros(n + 1, np.int64)
             copies, other, check = batch.column(2).to_pylist(), batch.column(3), batch.column(4)
+            begin, end = (memoryview(x.astype(np.int64)) for x in (words.start[windows.at], words.end[windows.at + window - 1])) if len(windows.at) else ((), ())
 
-            def words_of(i: int, words=words, windows=windows) -> bytes:
-                at = windows.at[i]
-                return b" ".join(words.data[words.start[at] : words.end[at + window - 1]].split())
+            def words_of(i: int, data=words.data, begin=begin, end=end) -> bytes:
+                return data[begin[i] : end[i]]
 
             for k, (a, b) in enumerate(zip(windows.bounds, windows.bounds[1:], strict=False)):
                 if a == b:
                     continue
                 at = windows.at[a:b]
-                if copies[k] and _digest(texts[k]) in copies[k]:
+                if copies[k] and _digest(plain[k]) in copies[k]:
                     flagged[at] = 1
                     continue
                 own = hashes[a:b]
@@ -361,15 +362,13 @@ def _kept_rows(window: int, with_text: bool, key: bytes):
             removed[window:] = total[window:] > total[:-window]
             counts, gone, shas, kept_texts = [], [], [], []
             for k, text in enumerate(texts):
-                a, b = words.first[k], words.first[k + 1]
-                cut = removed[a:b]
-                own = text.split()
-                left = list(compress(own, ~cut)) if cut.any() else own
-                counts.append(b - a)
-                gone.append(len(own) - len(left))
-                shas.append(hashlib.sha256(b" ".join(left)).hexdigest())
+                cut = removed[words.first[k] : words.first[k + 1]]
+                left = b" ".join(compress(plain[k].split(), ~cut)) if cut.any() else plain[k]
+                counts.append(len(cut))
+                gone.append(np.count_nonzero(cut))
+                shas.append(hashlib.sha256(left).hexdigest())
                 if with_text:
-                    kept_texts.append(_cut(words, a, b, cut, text).decode())
+                    kept_texts.append(_cut(text, cut).decode())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -379,12 +378,13 @@ def _kept_rows(window: int, with_text: bool, key: bytes):
     return batches
 
 
-def _cut(words: Words, a: int, b: int, cut: np.ndarray, text: bytes) -> bytes:
+def _cut(text: bytes, cut: np.ndarray) -> bytes:
     """The text without the removed words; what stays in one piece keeps its white space."""
     if not cut.any():
         return text
+    words = Words([text], hashes=False)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], cut, [True]]).astype(np.int8)))
-    return b" ".join(words.data[words.start[a + i] : words.end[a + j - 1]] for i, j in zip(edge[0::2], edge[1::2], strict=True))
+    return b" ".join(words.data[words.start[i] : words.end[j - 1]] for i, j in zip(edge[0::2], edge[1::2], strict=True))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
