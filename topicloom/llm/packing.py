@@ -68,10 +68,11 @@ class SpacedBPE:
         """Have the ids of these words at hand; gives the long ones, which aren't to be kept."""
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
-        words = words - self.known.keys()
-        for w in words & self.old.keys():
+        words = words.difference(self.known)  # looks up the words only; a difference of key views would walk the whole cache
+        kept = words & self.old.keys()
+        for w in kept:
             self.known[w] = self.old[w]
-        words -= self.known.keys()
+        words -= kept
         plain = []
         for w in words:
             if not w or w[0].isspace() or w[-1].isspace():
