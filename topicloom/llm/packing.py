@@ -19,7 +19,9 @@ and offset only; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -29,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.bpe import byte_symbols
 from topicloom.llm.shared import bounded_batches, row_parts
 
 CAPACITY = 1024
 GROUP_DOCS = 256
 END_ID = 0
 CACHE_WORDS, CACHED_CHARS = 250_000, 64
+#: Fixed value: the pre-tokens of byte-level tokenizers.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 class SpacedBPE:
@@ -113,10 +119,54 @@ class SpacedBPE:
         return out
 
 
+class RankedBPE:
+    """Ids of a byte-level tokenizer whose merges are numbered in their order, by an encoder that merges by token number.
+
+    Merging by number gives the library's ids if every merge is what its own bytes
+    come to; tests check that for the vocabulary in use, and all characters against
+    the library. Texts that hold a special token or a long run of white space, which
+    the encoder's pattern can't take, go to :class:`SpacedBPE`, and so do all texts
+    where the file says anything else than plain byte-level merges.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.other = SpacedBPE(path)
+        self.ranks = ranks_of(json.loads(self.other.library.to_str()))
+        self.plain = self.ranks and tiktoken.Encoding("ranked", pat_str=PRE_TOKENS, mergeable_ranks=self.ranks, special_tokens={})
+
+    def _fits(self, text: str) -> bool:
+        return not any(s in text for s in self.other.special) and not LONG_SPACE.search(text)
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.plain:
+            return self.other.packed(texts)
+        out = [self.plain.encode_to_numpy(t).astype("<u4", copy=False).tobytes() if t and self._fits(t) else None for t in texts]
+        left = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(left, self.other.packed([texts[k] for k in left]), strict=True):
+            out[k] = ids
+        return out
+
+
+def ranks_of(stored: dict) -> dict[bytes, int] | None:
+    """Number of each token's bytes, if a stored tokenizer is plain byte-level BPE with the bytes first and then the merges in order; else None."""
+    model, before = stored["model"], stored["pre_tokenizer"] or {}
+    odd = [stored["normalizer"], *(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))]
+    if any(odd) or (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) != ("ByteLevel", False, True):
+        return None
+    byte = {c: b for b, c in enumerate(byte_symbols())}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if sorted(model["vocab"].get(c, -1) for c in byte) != list(range(256)) or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    return {bytes(byte[c] for c in token): n for token, n in model["vocab"].items() if n < 256 + len(merges)}
+
+
 @lru_cache(2)
-def tokenizer(path: str) -> SpacedBPE:
+def tokenizer(path: str) -> RankedBPE:
     """One tokenizer for each Python worker."""
-    return SpacedBPE(path)
+    return RankedBPE(path)
 
 
 class Tournament:
