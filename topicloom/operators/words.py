@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicloom.functions.text import is_vocabulary_word, tokens
+from topicloom.functions.treebank import tokenised, vocabulary_parts
 from topicloom.functions.vectors import cosine, dot
 from topicloom.sources.work import written
 
 
 def words_of(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per token. The outer explode keeps Catalyst from testing the size of the tokens first, which would tokenise twice more."""
-    return docs.select(*keep, F.explode_outer(tokens(F.col("text"))).alias("token")).filter("token is not null")
+    """One row per token. The outer explode keeps Catalyst from testing the size of the tokens first, which may tokenise twice more."""
+    return tokenised(docs, *keep).select(*keep, F.explode_outer("tokens").alias("token")).filter("token is not null")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -28,10 +29,32 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_counts(docs: DataFrame, **filters) -> DataFrame:
-    """(word, n_total, doc_freq) of every lower-cased word that passes the filters, written once."""
-    found = _counted(docs).filter(is_vocabulary_word(F.col("token"), **filters))
+    """(word, n_total, doc_freq) of every lower-cased word that passes the filters, written once.
+
+    Documents are counted where they are read, so only each part's sums are shuffled. Rows that share a doc_id count as one document.
+    """
+    if "token" in docs.columns:
+        counts = _vocabulary(docs, **filters)
+    else:
+        # few ids or none, so the texts are joined only where there are any
+        repeated = written(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "repeated-ids")
+        if repeated.isEmpty():
+            marked = docs.withColumn("again", F.lit(False))
+        else:
+            marked = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("again", F.lit(True))
+            marked = marked.unionByName(docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").withColumn("again", F.lit(False)))
+        parts = written(vocabulary_parts(marked, **filters), "vocabulary-parts")
+        rest = words_of(parts.filter("word is null"), "doc_id").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+        both = parts.filter("word is not null").select("word", "n_total", "doc_freq").unionByName(_vocabulary(rest, **filters))
+        counts = both.groupBy("word").agg(F.sum("n_total").alias("n_total"), F.sum("doc_freq").alias("doc_freq"))
+    return written(counts, "vocabulary-counts")
+
+
+def _vocabulary(counts: DataFrame, **filters) -> DataFrame:
+    """(word, n_total, doc_freq) from (doc_id, token, n)."""
+    found = counts.filter(is_vocabulary_word(F.col("token"), **filters))
     per_doc = found.groupBy(F.lower("token").alias("word"), "doc_id").agg(F.sum("n").alias("n"))
-    return written(per_doc.groupBy("word").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("doc_freq")), "vocabulary-counts")
+    return per_doc.groupBy("word").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("doc_freq"))
 
 
 def quantile_bounds(counts: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
