@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.functions.text import is_vocabulary_word, tokens
+from topicloom.functions.text import is_vocabulary_word
 from topicloom.functions.treebank import tokenised, vocabulary_parts
 from topicloom.functions.vectors import cosine, dot
 from topicloom.sources.work import written
@@ -90,7 +90,7 @@ def words_per_topic(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
     One row a word, so that no topic's words have to fit into one task.
     """
-    found = docs.select("topic_idx", "doc_id", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "token")).filter("token is not null")
+    found = tokenised(docs, "topic_idx", "doc_id").select("topic_idx", "doc_id", F.posexplode_outer("tokens").alias("pos", "token")).filter("token is not null")
     return found.withColumn("word", F.lower("token")).join(vocab.select("word"), "word", "left_semi").select("topic_idx", "doc_id", "pos", "word")
 
 
