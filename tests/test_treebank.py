@@ -40,3 +40,26 @@ def test_counts_by_parts_equal_counts_by_document(spark, monkeypatch):
             got, want = words.vocabulary_counts(ids, **filters), words.vocabulary_counts(tokens, **filters)
             assert got.schema.names == want.schema.names
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_piece_is_looked_up_once_however_often_it_occurs(monkeypatch):
+    looked, at = [], treebank.Treebank._at
+    monkeypatch.setattr(treebank.Treebank, "_at", lambda self, piece, *rest: looked.append(piece) or at(self, piece, *rest))
+    monkeypatch.setattr(treebank.Treebank, "tokens", lambda self, text: 1 / 0)
+    counts = treebank.WordCounts()
+    for _ in range(3):
+        assert counts.add(["Head (cat) dog.) cat--dog Cat, J. R. R. Tolkien cannot tail"] * 200) == []
+    found = {w: (n, d) for w, n, d in zip(*counts.taken())}
+    assert found == {w: (600 * k, 600) for w, k in {"head": 1, "cat": 3, "dog.": 1, "dog": 1, "tolkien": 1, "tail": 1}.items()}
+    middle = [p for p in looked if p not in ("Head", "tail", "J.", "R.")]
+    assert len(middle) == len(set(middle))
+
+
+def test_counts_go_on_over_batches_and_texts_that_are_left(monkeypatch):
+    monkeypatch.setattr(treebank, "MOST", 4)
+    part, whole = treebank.WordCounts(), treebank.WordCounts(stop_words=False, short=False)
+    assert part.add(["cat dog cat", None, "a\0b Ünder Über, ÉCOLE ÑÑÑ cat", "cat kǅlan dog", "", " "]) == [1, 3]
+    assert part.add(["one-two " + "x,cat," * 30 + " Cat. The. End", "z"] * 2) == []
+    assert {w: (n, d) for w, n, d in zip(*part.taken()) if n} == {"cat": (65, 4), "dog": (1, 1), "ünder": (1, 1), "über": (1, 1), "école": (1, 1), "a\0b": (1, 1), "one-two": (2, 2), "end": (2, 2)}
+    assert whole.add(["The the THE a"]) == []
+    assert {w: (n, d) for w, n, d in zip(*whole.taken())} == {"the": (3, 1), "a": (1, 1)}
