@@ -63,3 +63,26 @@ def test_counts_go_on_over_batches_and_texts_that_are_left(monkeypatch):
     assert {w: (n, d) for w, n, d in zip(*part.taken()) if n} == {"cat": (65, 4), "dog": (1, 1), "ünder": (1, 1), "über": (1, 1), "école": (1, 1), "a\0b": (1, 1), "one-two": (2, 2), "end": (2, 2)}
     assert whole.add(["The the THE a"]) == []
     assert {w: (n, d) for w, n, d in zip(*whole.taken())} == {"the": (3, 1), "a": (1, 1)}
+
+
+def lookups(monkeypatch, texts):
+    """The pieces that are looked up one by one."""
+    looked, at = [], treebank.Treebank._at
+    with monkeypatch.context() as m:
+        m.setattr(treebank.Treebank, "_at", lambda self, piece, *rest: looked.append(piece) or at(self, piece, *rest))
+        assert treebank.WordCounts().add(texts) == []
+    return looked
+
+
+def letters(k):
+    return "".join(chr(97 + int(c)) for c in f"{k:05d}")
+
+
+def test_corpus_vocab_of_ever_new_words(spark, monkeypatch):
+    texts = [f"Start {letters(k)}, Shared {letters(k // 4)}xx. Then {letters(k)} (again) stop" for k in range(400)]
+    assert set(lookups(monkeypatch, texts)) == {"Start", "(again)", "stop"}
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(28, "shared aaaahxx twice twice")], "doc_id long, text string")
+    got = {r.word: (r.n_total, r.doc_freq) for r in words.corpus_vocab(docs, low=0, high=1).collect()}
+    assert got == {"start": (400, 400), "shared": (401, 400), "stop": (400, 400)} | {f"{letters(k)}xx": (4 + (k == 7), 4) for k in range(100)}
+    few = words.corpus_vocab(docs, low=0, high=0.9, min_docs=1)
+    assert {(r.n_total, r.doc_freq): r.n for r in few.groupBy("n_total", "doc_freq").agg(F.count(F.lit(1)).alias("n")).collect()} == {(2, 1): 401, (4, 4): 99}
