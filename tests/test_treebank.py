@@ -86,3 +86,12 @@ def test_corpus_vocab_of_ever_new_words(spark, monkeypatch):
     assert got == {"start": (400, 400), "shared": (401, 400), "stop": (400, 400)} | {f"{letters(k)}xx": (4 + (k == 7), 4) for k in range(100)}
     few = words.corpus_vocab(docs, low=0, high=0.9, min_docs=1)
     assert {(r.n_total, r.doc_freq): r.n for r in few.groupBy("n_total", "doc_freq").agg(F.count(F.lit(1)).alias("n")).collect()} == {(2, 1): 401, (4, 4): 99}
+
+
+def test_missing_vectors_of_accented_words(spark, monkeypatch):
+    texts = [f"Zu {letters(k)}é, Ö{letters(k // 4)}! Ñ{letters(k // 8)}; {letters(k)}ſ. Weg" for k in range(400)]
+    assert sum("Ö" in p or "Ñ" in p or "é" in p for p in lookups(monkeypatch, texts)) == 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = words.corpus_vocab(docs, low=0, high=1)
+    found = words.missing_vectors(vocab, vocab.filter("word like 'ñ%'"))
+    assert sorted(r.word for r in found.collect()) == sorted(["weg", *(f"ö{letters(k)}" for k in range(100))])
